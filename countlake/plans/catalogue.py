@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from countlake.plans import problems
+
 
 def queries() -> dict:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return problems.oracle_sql()
