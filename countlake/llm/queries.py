@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.llm import mcl
+from countlake.llm import hnsw, mcl, quantiles, tokenizer
 from countlake.llm.vectors import pattern_vectors
 from countlake.session import cut, table
 
@@ -24,8 +24,28 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return mcl.describe_clusters(mcl.pattern_clusters(_vectors(spark, d)))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a pattern that has five neighbours at cosine 0.6 or more with one of its five nearest."""
+    return hnsw.case_pairs(hnsw.nearest_vectors(_vectors(spark, d), k=5, floor=mcl.THRESHOLD), 5)
+
+
+def p2_source(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of ones, multi and count_multi per source, combined from the days."""
+    return quantiles.read_quantiles(quantiles.source_sketches(cut(quantiles.day_sketches(table(spark, d, "pattern_rows")), "days")), ["source_id", "measure"], quantiles.QS)
+
+
+def p2_source_day(spark: SparkSession, d: str) -> DataFrame:
+    """The same per source and day of taken_at."""
+    return quantiles.read_quantiles(quantiles.day_sketches(table(spark, d, "pattern_rows")), ["source_id", "day", "measure"], quantiles.QS)
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ids): every text by byte_bpe_50k."""
+    return tokenizer.encode_texts(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_clusters": p3_clusters}
+    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:

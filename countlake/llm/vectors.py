@@ -15,8 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countlake.operators.badpixels import bad_by_source
-from countlake.session import small
+from countlake.operators.badpixels import BadLookup
 
 NUM_PIX = 4096
 CAP = 4
@@ -76,7 +75,7 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.asarray(flat).astype(np.int64)
 
 
-def _vectorise(tables: np.ndarray, min_pixels: int, bits: np.ndarray):
+def _vectorise(tables: np.ndarray, min_pixels: int, bits: np.ndarray, is_bad):
     hashes = len(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,17 +90,7 @@ def _vectorise(tables: np.ndarray, min_pixels: int, bits: np.ndarray):
             ok = (pixel >= 0) & (pixel < NUM_PIX) & (value >= 1)
             key, value = owner[ok] * NUM_PIX + pixel[ok], np.minimum(value[ok], CAP)
             if len(key):
-                bo, bp = _lists(batch.column("bad"))
-                src = np.asarray(batch.column("source_key"))
-                lut, inv = np.unique(src, return_index=True)
-                rank = np.searchsorted(lut, src)
-                mask = np.zeros((len(lut), NUM_PIX), bool)
-                lead = np.full(n, -1)
-                lead[inv] = np.arange(len(lut))
-                at = lead[bo]
-                use = (at >= 0) & (bp >= 0) & (bp < NUM_PIX)
-                mask[at[use], bp[use]] = True
-                good = ~mask[rank[key // NUM_PIX], key % NUM_PIX]
+                good = ~is_bad(batch, key // NUM_PIX, key % NUM_PIX)
                 key, value = key[good], value[good]
                 order = np.lexsort((-value, key))
                 key, value = key[order], value[order]
@@ -148,7 +137,7 @@ def pattern_vectors(patterns: DataFrame, sources: DataFrame, pixels: DataFrame,
     no BAD pixels. Rows repeated with the same pattern_id give one row (of differing deliveries
     the smallest packed vector). mins are MinHash ranks of the support, sketch one bit of each.
     """
-    bad = small(bad_by_source(sources, pixels))
+    lookup = BadLookup(sources, pixels, NUM_PIX)
     n = F.least(F.size("place_multi"), F.size("count_multi"))
     cutoff = lambda c: F.when(F.size("place_multi") == F.size("count_multi"), F.col(c)).otherwise(F.slice(c, 1, F.greatest(n, F.lit(0))))
     rows = patterns.where("pattern_id is not null").select(
@@ -163,10 +152,10 @@ def pattern_vectors(patterns: DataFrame, sources: DataFrame, pixels: DataFrame,
         "place_multi": F.when(F.exists("place_multi", F.isnull), F.transform("place_multi", lambda x: F.coalesce(x, F.lit(-1)))).otherwise(F.col("place_multi")),
         "count_multi": F.when(F.exists("count_multi", F.isnull), F.transform("count_multi", lambda x: F.coalesce(x, F.lit(0)))).otherwise(F.col("count_multi")),
     })
-    rows = rows.join(bad, "source_id", "left").select("pattern_id", F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source_key"), "bad", "place_ones", "place_multi", "count_multi")
+    rows = lookup.attach(rows)
     rng = np.random.default_rng(SEED + 1)
     bits = rng.integers(0, 2, (HASHES, NUM_PIX)).astype(np.uint64)
-    vectors = rows.mapInArrow(_vectorise(rank_tables(), min_pixels, bits), "pattern_id long, vec binary, norm2 long, sketch long, mins array<smallint>")
+    vectors = rows.mapInArrow(_vectorise(rank_tables(), min_pixels, bits, lookup.kernel()), "pattern_id long, vec binary, norm2 long, sketch long, mins array<smallint>")
     return vectors.groupBy("pattern_id").agg(F.min(F.struct("vec", "norm2", "sketch", "mins")).alias("v")).select("pattern_id", "v.*")
 
 
