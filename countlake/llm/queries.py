@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.llm import hnsw, mcl, quantiles, tokenizer
+from countlake.llm import hnsw, leakage, mcl, quantiles, tokenizer
 from countlake.llm.vectors import pattern_vectors
 from countlake.session import cut, table
 
@@ -44,8 +44,13 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id): documents with a passage of an evaluation item."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict:
-    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
+    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p7_found": p7_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
