@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.llm import hnsw, leakage, mcl, quantiles, tokenizer
+from countlake.llm import hnsw, leakage, mcl, quantiles, residue, tokenizer
 from countlake.llm.vectors import pattern_vectors
 from countlake.session import cut, table
 
@@ -49,8 +49,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id): documents with text the publishing system left in them."""
+    return residue.residue(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, kind): the same with what was found."""
+    return residue.residue(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p7_found": p7_found, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
+    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_kinds": p8_kinds, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
