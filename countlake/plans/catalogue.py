@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from countlake.plans import problems
+from countlake.plans import geometry_queries, matrix_queries, problems
 
 
 def queries() -> dict:
-    return problems.queries()
+    return matrix_queries.QUERIES | geometry_queries.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return matrix_queries.ORACLE | geometry_queries.ORACLE | problems.oracle_sql()

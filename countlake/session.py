@@ -61,3 +61,10 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_path(spark: SparkSession, path: str) -> str:
+    """A stream's source is a folder or a pattern: a table that is one file is named by a pattern."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    return f"{path[:-1]}[{path[-1]}]" if single else path

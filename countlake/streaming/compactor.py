@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.session import fresh_path
+from countlake.session import fresh_path, stream_path
 from countlake.sources.countfile import DamagedFile, assemble, parse
 
 RECORD = "list_id long, exposure_no long, file_id long, row_no long, num_pix int, place_ones array<int>, place_multi array<int>, count_multi array<int>"
@@ -91,11 +91,7 @@ class StreamingCompactor:
     def advance(self) -> StreamingCompactor:
         """Process everything that is available and not yet processed."""
         schema = self.spark.read.parquet(self.source).schema
-        # a stream's source is a folder or a pattern; a catalogue that is one file is named by a pattern
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.source)
-        single = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
-        source = f"{self.source[:-1]}[{self.source[-1]}]" if single else self.source
-        stream = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", str(self.max_batch_bytes)).parquet(source)
+        stream = self.spark.readStream.schema(schema).option("maxBytesPerTrigger", str(self.max_batch_bytes)).parquet(stream_path(self.spark, self.source))
         query = stream.select("file_id", "list_id", "exposure_nos", "payload").writeStream.foreachBatch(self._process).option("checkpointLocation", f"{self.state}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
         return self
