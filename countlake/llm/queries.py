@@ -35,8 +35,9 @@ def p2_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_source_day(spark: SparkSession, d: str) -> DataFrame:
-    """The same per source and day of taken_at."""
-    return quantiles.read_quantiles(quantiles.day_sketches(table(spark, d, "pattern_rows")), ["source_id", "day", "measure"], quantiles.QS)
+    """The same per source and day of taken_at (as text, null where it is unknown)."""
+    days = quantiles.read_quantiles(quantiles.day_sketches(table(spark, d, "pattern_rows")), ["source_id", "day", "measure"], quantiles.QS)
+    return days.withColumn("day", F.col("day").cast("string"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -63,5 +64,26 @@ def queries() -> dict:
     return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_kinds": p8_kinds, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
+_PAIRS = """WITH bad AS (SELECT DISTINCT s.source_id, p.pixel_id FROM sources s JOIN pixels p USING (detector_id) WHERE (p.mask & 2) = 2),
+pr AS (SELECT DISTINCT ON (pattern_id) pattern_id, source_id, place_ones, place_multi, count_multi FROM pattern_rows),
+al AS (SELECT pattern_id, source_id, unnest(place_ones) AS px, 1 AS c FROM pr UNION ALL SELECT pattern_id, source_id, unnest(place_multi), unnest(count_multi) FROM pr),
+en AS (SELECT pattern_id, px, CAST(least(c, 4) AS BIGINT) AS c FROM al WHERE c >= 1 AND px BETWEEN 0 AND 4095 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source_id = al.source_id AND bad.pixel_id = al.px)),
+nm AS (SELECT pattern_id, sum(c * c) AS n2 FROM en GROUP BY 1 HAVING count(*) >= 50),
+ok AS (SELECT en.*, n2 FROM en JOIN nm USING (pattern_id)),
+pa AS (SELECT a.pattern_id AS id_a, b.pattern_id AS id_b, round(sum(a.c * b.c) / sqrt((any_value(a.n2) * any_value(b.n2))::DOUBLE), 12) AS cos FROM ok a JOIN ok b ON a.px = b.px AND a.pattern_id < b.pattern_id GROUP BY 1, 2 HAVING cos >= 0.6)"""
+_MEASURES = """WITH pr AS (SELECT pattern_id, source_id, min(CAST(taken_at AS DATE)) AS day, min(coalesce(len(place_ones), ones)) AS o, min(coalesce(len(place_multi), multi)) AS m, min(count_multi) AS c FROM pattern_rows WHERE pattern_id IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2),
+v AS (SELECT source_id, day, 'ones' AS measure, o AS v FROM pr UNION ALL SELECT source_id, day, 'multi', m FROM pr UNION ALL SELECT source_id, day, 'count_multi', unnest(c) FROM pr),
+g AS (SELECT source_id, day, measure, list_sort(list(v)) AS l, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same: exact percentiles of groups too small to be collapsed, and cosines
+    of all pairs. The others are tested against brute force."""
+    ranks = ", ".join(f"CAST(l[CAST(greatest(ceil({q}::DOUBLE * n), 1) AS BIGINT)] AS DOUBLE) AS p{q * 100:g}" for q in quantiles.QS)
+    return {
+        "p2_source_day": f"{_MEASURES} SELECT source_id, CAST(day AS VARCHAR) AS day, measure, n, CAST(0 AS BIGINT) AS rank_error, {ranks} FROM g",
+        "p3_found": f"{_PAIRS} SELECT id_a, id_b FROM pa",
+        "p4_found": f"""{_PAIRS}, bo AS (SELECT id_a AS q, id_b AS o, cos FROM pa UNION ALL SELECT id_b, id_a, cos FROM pa),
+rk AS (SELECT q, o, row_number() OVER (PARTITION BY q ORDER BY cos DESC, o) AS r, count(*) OVER (PARTITION BY q) AS n FROM bo)
+SELECT DISTINCT least(q, o) AS id_a, greatest(q, o) AS id_b FROM rk WHERE n >= 5 AND r <= 5""",
+    }
