@@ -165,3 +165,13 @@ def band_key(band: int, width: int):
     for i in range(band * width, band * width + width):
         key = F.shiftleft(key, 12).bitwiseOR(F.element_at("mins", i + 1).cast("long"))
     return key
+
+
+def copy_groups(vectors: DataFrame) -> DataFrame:
+    """(pattern_id, head, copies) of vectors that are not alone: head is the smallest id of the equal ones.
+
+    Equality is told by two independent 64-bit values and the norm. Groups are counted with partial sums and never collected.
+    """
+    v = vectors.select("pattern_id", F.xxhash64("vec").alias("h"), "sketch", "norm2")
+    groups = v.groupBy("h", "sketch", "norm2").agg(F.min("pattern_id").alias("head"), F.count("*").alias("copies")).where("copies > 1")
+    return v.join(groups, ["h", "sketch", "norm2"]).select("pattern_id", "head", "copies")
