@@ -102,6 +102,15 @@ class DetectorFrame:
     def coor_factor(self) -> DataFrame:
         return self.pixels.select("pixel_id", "qx", "qy", "qz", "factor")
 
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        """Records (qx, qy, qz, factor, mask) in order of pixel_id, on the driver."""
+        rows = self.pixels.orderBy("pixel_id").toArrow()
+        kinds = [("qx", "f8"), ("qy", "f8"), ("qz", "f8"), ("factor", "f8"), ("mask", "i4")]
+        out = np.empty(rows.num_rows, kinds)
+        for c, _ in kinds:
+            out[c] = np.asarray(rows[c])
+        return out if dtype is None else out.astype(dtype)
+
     # selection and masks ------------------------------------------------------------------------
     def __getitem__(self, index) -> DetectorFrame:
         """slice, boolean mask, list of ids (order and repetitions kept), or a list of PixelType."""

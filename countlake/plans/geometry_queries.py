@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from countlake.operators import detector as dt
 from countlake.operators.detector import DetectorFrame
 from countlake.schema import DetectorMeta, PixelType
-from countlake.session import table
+from countlake.session import fresh_path, table
 
 R = 2000.0
 XY = "(p_partkey % 50) - 24.5::DOUBLE AS qx, CAST(p_partkey // 50 AS DOUBLE) - 20.0::DOUBLE AS qy"
@@ -169,3 +169,25 @@ def domain_dimensions(spark, d):
     rows = table(spark, d, "detectors").collect()  # the table of detectors, not of pixels
     made = [(r.detector_id, DetectorFrame(spark.createDataFrame([], "pixel_id int, qx double, qy double, qz double, factor double, mask int"), DetectorMeta(r.num_pix, r.detd, math.inf if math.isinf(r.ewald_rad) else r.ewald_rad)).ndim) for r in rows]
     return spark.createDataFrame(made, "detector_id int, ndim int")
+
+
+@query(f"WITH {PIX} SELECT pixel_id, round(qx, 6) + 0 AS qx, round(qz, 6) + 0 AS qz, round(factor, 6) AS factor, mask FROM pix")
+def text_detector_roundtrip(spark, d):
+    """Written to a text file and read again."""
+    path = fresh_path(spark, "detector").removeprefix("file://") + ".dat"
+    part_detector(spark, d).write(path)
+    return _rounded(dt.read_detector(spark, path).pixels.select("pixel_id", "qx", "qz", "factor", "mask"), "qx", "qz", "factor")
+
+
+@query(f"""WITH {PIX}, p AS (SELECT qx * {R}::DOUBLE / ({R}::DOUBLE + qz) AS cx, qy * {R}::DOUBLE / ({R}::DOUBLE + qz) AS cy FROM pix),
+e AS (SELECT min(cx) AS x0, min(cy) AS y0, CAST(round_even(max(cx) - min(cx), 0) AS INTEGER) + 1 AS w, CAST(round_even(max(cy) - min(cy), 0) AS INTEGER) + 1 AS h FROM p)
+SELECT CAST(i AS INTEGER) AS fx, CAST(j AS INTEGER) AS fy, round(x0 + i * (w::DOUBLE / (w - 1)), 6) + 0 AS x, round(y0 + j * (h::DOUBLE / (h - 1)), 6) + 0 AS y FROM e, unnest(range(e.w)) AS a(i), unnest(range(e.h)) AS b(j)""")
+def frame_pixels(spark, d):
+    """Coordinates of the image's cells."""
+    return _rounded(dt.det_render(part_detector(spark, d)).frame_pixels(), "x", "y")
+
+
+@query(f"WITH {PIX} SELECT CAST(pos AS INTEGER) AS pixel_id, round(factor, 6) AS factor FROM pix JOIN (VALUES (0, 9), (1, 4), (2, 4), (3, 150)) AS t(pos, id) ON pixel_id = id")
+def pixel_pick(spark, d):
+    """Pixels in a given order, one of them twice."""
+    return _rounded(part_detector(spark, d)[[9, 4, 4, 150]].pixels.select("pixel_id", "factor"), "factor")

@@ -271,3 +271,32 @@ def collect_images(spark, d):
 def object_tree(spark, d):
     """A node of nested objects, held as VARIANT."""
     return table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "long").alias("k"))
+
+
+@query("""WITH p AS (SELECT DISTINCT ON (pattern_id) * FROM pattern_rows WHERE place_ones IS NOT NULL)
+SELECT pattern_id, 'count below 2' AS problem FROM p WHERE list_min(count_multi) < 2
+UNION ALL SELECT pattern_id, 'no such pixel' FROM p WHERE list_min(place_multi) < 0 OR list_max(place_multi) > 4095 OR list_min(place_ones) < 0 OR list_max(place_ones) > 4095""")
+def violations(spark, d):
+    """Patterns that break the layout's invariants."""
+    rows = table(spark, d, "pattern_rows").where("place_ones is not null").dropDuplicates(["pattern_id"]).select("pattern_id", "place_ones", "place_multi", "count_multi")
+    return PatternFrame(pf.PatternMeta(0, 4096), rows=rows).violations()
+
+
+@query("""WITH p AS (SELECT DISTINCT ON (pattern_id) * FROM pattern_rows WHERE place_ones IS NOT NULL)
+SELECT source_id, count(*) AS patterns, CAST(sum(len(place_ones)) AS BIGINT) AS s1, CAST(sum(len(place_multi)) AS BIGINT) AS sm, CAST(4 * (2 * count(*) + sum(len(place_ones)) + 2 * sum(len(place_multi))) AS BIGINT) AS nbytes FROM p GROUP BY source_id""")
+def source_sizes(spark, d):
+    """Sizes of the members of a list of sources, repeated deliveries counted once."""
+    rows = table(spark, d, "pattern_rows").where("place_ones is not null").dropDuplicates(["pattern_id"])
+    m = PatternFrame(pf.PatternMeta(0, 4096), rows=rows.select("pattern_id", "place_ones", "place_multi", "count_multi"))
+    s = m.row_stats().join(rows.select("pattern_id", "source_id"), "pattern_id").groupBy("source_id")
+    s = s.agg(F.count("*").alias("patterns"), F.sum("ones").alias("s1"), F.sum("multi").alias("sm"))
+    return s.withColumn("nbytes", 4 * (2 * F.col("patterns") + F.col("s1") + 2 * F.col("sm")))
+
+
+@query("SELECT * FROM (VALUES ('age', 'attr', '3'), ('name', 'attr', '\"n\"'), ('new', 'attr', '1.5')) AS t(path, kind, body)")
+def object_merge(spark, d):
+    """An object tree with another merged into it: what the second does not name survives."""
+    from countlake.sources.objects import merge, to_nodes
+
+    both = merge(to_nodes(spark, {"name": "n", "age": 2}), to_nodes(spark, {"age": 3, "new": 1.5}), overwrite=True)
+    return both.where("kind = 'attr'").select(F.expr("substring(path, 2)").alias("path"), "kind", F.to_json("value").alias("body"))
