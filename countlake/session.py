@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -68,3 +70,26 @@ def stream_path(spark: SparkSession, path: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     single = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
     return f"{path[:-1]}[{path[-1]}]" if single else path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if a scan of few or small files gives fewer.
+
+    For work that costs far more than moving its rows once; a table of many parts is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless their PYTHONPATH has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="countlake-"), "countlake"), "zip", root, "countlake")
+    spark.sparkContext.addPyFile(archive)  # Spark serves it to all executors
+    _shipped.add(app)
