@@ -28,9 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countlake.session import spread
+
 PASSAGE, PASSAGE_STEP = 24, 8
 WINDOW, WINDOW_STEP = 32, 16
 RANK, OVERSAMPLE, POWER_ROUNDS = 512, 32, 2
+#: Passages multiplied at once.
+CHUNK = 256
 #: Least latent cosine of a candidate window.
 CANDIDATE = 0.22
 MIN_WORDS, MIN_SHARE = 14, 0.25
@@ -270,7 +274,7 @@ def _document_frequencies(documents: DataFrame, vocab: dict[str, int]) -> tuple[
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
 
-    parts = documents.where("text is not null").select("text").mapInArrow(count, "word long, n long")
+    parts = documents.select("text").mapInArrow(count, "word long, n long")
     df = np.zeros(len(vocab) + 1, np.int64)
     for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most one row per word of the block
         df[r.word] = r.n
@@ -299,17 +303,16 @@ def randomised_svd(passages: DataFrame, width: int, rank: int = RANK, seed: int
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(shape, np.float64)
             for batch in batches:
-                for w, x in zip(batch.column("words").to_pylist(), batch.column("weights").to_pylist()):
-                    x = np.asarray(x)
-                    y = x @ q[w]
-                    if gram:
-                        out += np.outer(y, y)
-                    else:
-                        out[w] += np.outer(x, y)
+                for at in range(0, batch.num_rows, CHUNK):
+                    words, weights = (batch.column(c).slice(at, CHUNK) for c in ("words", "weights"))
+                    dense = np.zeros((len(words), width), np.float32)
+                    dense[np.repeat(np.arange(len(words)), np.asarray(words.value_lengths())), np.asarray(words.flatten())] = np.asarray(weights.flatten())
+                    y = dense @ q
+                    out += (y if gram else dense).T @ y
             yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
 
         total = np.zeros(shape)
-        for r in passages.mapInArrow(part, "sum binary").toLocalIterator():  # one partial sum per partition
+        for r in passages.mapInArrow(part, "sum binary").collect():  # one partial sum for each of the few partitions
             total += np.frombuffer(r["sum"], np.float32).reshape(shape)
         return total
 
@@ -327,6 +330,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(docs.where("text is not null"))
     its = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id", "text"])
     n = its.count()
     blocks = max(1, math.ceil(n / block))
@@ -357,7 +361,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK
                 cols = list(zip(*got)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "words"])
 
-        found = docs.where("text is not null").mapInArrow(search, "doc_id long, item_id long, words long")
+        found = docs.mapInArrow(search, "doc_id long, item_id long, words long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, words long")

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countlake.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 SLICE = 1 << 16
 #: Runs of up to this many bytes are merged at once and remembered; longer ones are fed in windows.
@@ -228,7 +230,8 @@ def encode_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe
     """(doc_id, ids): the token ids of every text exactly as stored, without special tokens.
 
     Empty and null texts give an empty list. One row comes out for every row that goes in, so repeated
-    rows stay repeated and null ids stay; other columns are ignored. There is no shuffle.
+    rows stay repeated and null ids stay; other columns are ignored. There is no shuffle, unless
+    the table has fewer parts than there are cores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +241,7 @@ def encode_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
