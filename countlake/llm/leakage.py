@@ -10,7 +10,9 @@
    Interruptions and altered words are allowed for; of each aligned passage the answers, that is numbers and
    words few items have, must agree, which a similar statement about something else does not.
 
-Sentences of an item without any answer word (procedural formulas) do not count as its passages.
+Sentences of an item without any answer word (procedural formulas) do not count as its passages. A document
+that repeats other sentences of the item does not make a sentence's words common, so a leak hides no item
+however often it occurs; a formula, which comes without the rest of the item, stays one.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ AGREE, ANSWERS = 0.75, 0.6
 #: this share of the documents (or ANSWER_DOCUMENTS) have it.
 ANSWER_SHARE, ANSWER_ITEMS = 0.01, 2
 ANSWER_DOCUMENT_SHARE, ANSWER_DOCUMENTS = 0.003, 4
+#: Successive words by which a document is seen to repeat a sentence of an item.
+GRAM = 4
 #: Items handled at once; their table is checked and worked off in blocks of this many.
 ITEM_BLOCK = 4000
 #: Costs of the alignment in units of one agreeing word.
@@ -170,13 +174,16 @@ class ItemIndex:
                 out.words.append([np.array([out.vocab.setdefault(w, len(out.vocab)) for w in ws], np.int32) for ws in sentences if ws])
         return out
 
-    def settle(self, df: np.ndarray, total: int, item_share: dict[str, int], items: int) -> ItemIndex:
-        """Weights and answer words from the counts over all documents and items; drops plain sentences."""
+    def settle(self, df: np.ndarray, own: np.ndarray, total: int, item_share: dict[str, int], items: int) -> ItemIndex:
+        """Weights and answer words from the counts over all documents and items; drops plain sentences.
+
+        own: of the documents of df, those that have the word from a leaked item.
+        """
         self.idf = np.log((total + 1) / (df + 1)) + 0.1
         # a word no item has is as rare as an average one that items have
         self.unknown = float(np.average(self.idf, weights=df + 1))
         rare, few = max(ANSWER_ITEMS, ANSWER_SHARE * items), max(ANSWER_DOCUMENTS, ANSWER_DOCUMENT_SHARE * total)
-        self.asked = np.array([any(c.isdigit() for c in w) or (item_share.get(w, 0) <= rare and df[i] <= few) for w, i in self.vocab.items()], bool)
+        self.asked = np.array([any(c.isdigit() for c in w) or (item_share.get(w, 0) <= rare and df[i] - own[i] <= few) for w, i in self.vocab.items()], bool)
         kept = [[s for s in sentences if self.asked[s].any()] for sentences in self.words]
         use = [k for k, sentences in enumerate(kept) if sentences]
         self.ids, self.sizes = [self.ids[k] for k in use], [self.sizes[k] for k in use]
@@ -258,27 +265,65 @@ class ItemIndex:
         return out
 
 
-def _document_frequencies(documents: DataFrame, vocab: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Documents that have each word of the vocabulary, and documents with text, over all rows."""
+class Repeats:
+    """Finds the words of a document that a leaked item explains."""
+
+    def __init__(self, words: list[list[np.ndarray]]):
+        self.sentences = [s for ws in words for s in ws]
+        self.item = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+        start = np.r_[0, np.cumsum([len(s) for s in self.sentences])]
+        self.sentence_at = np.repeat(np.arange(len(self.sentences)), np.diff(start))
+        keys = [self._grams(s) for s in self.sentences]
+        at = np.concatenate([start[k] + np.arange(len(g)) for k, g in enumerate(keys)]) if keys else np.zeros(0, np.int64)
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+
+    @staticmethod
+    def _grams(ids: np.ndarray) -> np.ndarray:
+        n = max(0, len(ids) - GRAM + 1)
+        key = np.zeros(n, np.uint64)
+        for i in range(GRAM):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + (ids[i : i + n].astype(np.int64) + 2).astype(np.uint64)
+        return key
+
+    def explained(self, ids: np.ndarray) -> np.ndarray:
+        """Words of the sentences whose item the document repeats, by MIN_WORDS words of its other sentences."""
+        grams = np.unique(self._grams(ids))
+        lo, hi = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
+        at = np.concatenate([self.at[a:b] for a, b in zip(lo[hi > lo], hi[hi > lo])] or [np.zeros(0, np.int64)])
+        held = np.unique(at[:, None] + np.arange(GRAM))  # places of item words
+        if len(held) < MIN_WORDS:
+            return np.zeros(0, np.int64)
+        per_sentence = np.bincount(self.sentence_at[held], minlength=len(self.sentences))
+        per_item = np.bincount(self.item, weights=per_sentence)
+        leaked = np.nonzero(per_item[self.item] - per_sentence >= MIN_WORDS)[0]
+        return np.unique(np.concatenate([self.sentences[k] for k in leaked])) if len(leaked) else np.zeros(0, np.int64)
+
+
+def _document_frequencies(documents: DataFrame, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents that have each word of the vocabulary, those of them that a leaked item explains, and
+    documents with text, over all rows."""
+    vocab, repeats = index.vocab, Repeats(index.words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(len(vocab) + 1, np.int64), 0
+        n, own, total = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 total += 1
-                for w in set(words_of(text)):
-                    i = vocab.get(w)
-                    if i is not None:
-                        n[i] += 1
+                ids = np.array([vocab.get(w, -1) for w in words_of(text)], np.int64)
+                has = np.unique(ids[ids >= 0])
+                n[has] += 1
+                own[np.intersect1d(has, repeats.explained(ids), assume_unique=True)] += 1
         n[-1] = total
         at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(own[at])], names=["word", "n", "own"])
 
-    parts = documents.select("text").mapInArrow(count, "word long, n long")
-    df = np.zeros(len(vocab) + 1, np.int64)
-    for r in parts.groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most one row per word of the block
-        df[r.word] = r.n
-    return df[:-1], int(df[-1])
+    parts = documents.select("text").mapInArrow(count, "word long, n long, own long")
+    df, own = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64)
+    for r in parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect():  # at most one row per word of the block
+        df[r.word], own[r.word] = r.n, r.own
+    return df[:-1], own[:-1], int(df[-1])
 
 
 def _passage_table(spark, index: ItemIndex) -> tuple[DataFrame, list]:
@@ -344,7 +389,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK
         index = ItemIndex.of(rows)
         if not index.ids:
             continue
-        index.settle(*_document_frequencies(docs, index.vocab), share, n)
+        index.settle(*_document_frequencies(docs, index), share, n)
         if not index.ids:
             continue
         passages, listed = _passage_table(spark, index)

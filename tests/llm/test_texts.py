@@ -85,6 +85,16 @@ def test_hot_item(spark, cases):
     assert found(spark, docs + more, items) == want | {(r[0], 20) for r in more}
 
 
+def test_hot_item_without_digits(spark, cases):
+    """A leak makes its own words common; a formula of one sentence stays a formula."""
+    docs, items, want = cases
+    hot = "Herons nested beneath the rusted viaduct while carpenters varnished eleven oaken lecterns for the bishop. Quarrelsome millers bartered saffron against tallow until the abbess locked every granary in Thornwick."
+    formula = "Colleagues kindly take your seats so that the chamber may proceed with the ballot on amendments as notified yesterday evening."
+    both = [*items, (40, hot), (41, formula + " Glaziers petitioned the duchess about cracked lanterns along the northern causeway near Ember quay.")]
+    more = [(1000 + i, "Small growers welcome this. " + hot, "x", 1, "y") for i in range(20)] + [(2000 + i, formula, "x", 1, "y") for i in range(20)]
+    assert found(spark, docs + more, both) == want | {(1000 + i, 40) for i in range(20)}
+
+
 def test_no_rows(spark, cases):
     assert found(spark, [], cases[1]) == set() and found(spark, cases[0], []) == set()
 
