@@ -40,6 +40,8 @@ CHUNK = 256
 #: Least latent cosine of a candidate window.
 CANDIDATE = 0.22
 MIN_WORDS, MIN_SHARE = 14, 0.25
+#: Agreeing words of a stretch that may be joined with another one, however far from it.
+JOINED_WORDS = 6
 #: Of an aligned passage at least these shares of all words and of the answer words must agree.
 AGREE, ANSWERS = 0.75, 0.6
 #: A word is an answer if it has a digit, or if at most this share of the items (or ANSWER_ITEMS) and
@@ -120,8 +122,9 @@ def align(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, bool]]:
     return path[::-1]
 
 
-def passages_found(path: list[tuple[int, int, bool]], answer: np.ndarray) -> list[tuple[int, int, int]]:
-    """(words, agreeing, answers agreeing) of the stretches of an alignment that hold up.
+def passages_found(path: list[tuple[int, int, bool]], answer: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
+    """(words, agreeing, first and last place in the item, first and last in the text) of the stretches of
+    an alignment that hold up.
 
     An alignment is cut where item words are skipped; altered words at the ends of a stretch are
     trimmed. A stretch holds up if enough of its words and of its answers agree, and it has an answer.
@@ -142,10 +145,37 @@ def passages_found(path: list[tuple[int, int, bool]], answer: np.ndarray) -> lis
         same, asked = sum(s[2] for s in part), [s for s in part if answer[s[0]]]
         right = sum(s[2] for s in asked)
         if asked and same >= AGREE * len(part) and right >= ANSWERS * len(asked):
-            out.append((len(part), same, right))
+            out.append((len(part), same, part[0][0], part[-1][0], part[0][1], part[-1][1]))
     return sorted(out, reverse=True)
 
 
+def _moved(stretches: list[tuple], i: int, j: int) -> list[tuple]:
+    return [(n, same, a + i, b + i, c + j, d + j) for n, same, a, b, c, d in stretches]
+
+
+def best_two(item: np.ndarray, answer: np.ndarray, text: np.ndarray, need: float) -> tuple[int, list[tuple]]:
+    """(words of the two best stretches of the best alignment, all stretches that may be joined).
+
+    If need is not reached, what lies before the alignment in both and what lies after it is aligned as well:
+    a gap that is too dear for one alignment may part two passages.
+    """
+    path = align(item, text)
+    held = passages_found(path, answer)
+    words = sum(x[0] for x in held[:2])
+    held = [x for x in held if x[1] >= JOINED_WORDS]
+    if held and words < need:
+        (i, j, _), (i2, j2, _) = path[0], path[-1]
+        more = _moved(passages_found(align(item[i2 + 1 :], text[j2 + 1 :]), answer[i2 + 1 :]), i2 + 1, j2 + 1)
+        more += passages_found(align(item[:i], text[:j]), answer[:i])
+        held = held + [x for x in more if x[1] >= JOINED_WORDS]
+    return words, held
+
+
+def joined(stretches: list[tuple]) -> int:
+    """Words of the two stretches that are in order in item and text and have most words."""
+    return max((a[0] + b[0] for a in stretches for b in stretches if a[3] < b[2] and a[5] < b[4]), default=0)
+
+
 @dataclass
 class ItemIndex:
     """A block of items, ready for search; it is what the tasks receive."""
@@ -251,16 +281,22 @@ class ItemIndex:
                     spans[-1][1] = max(spans[-1][1], hi)
                 else:
                     spans.append([lo, hi])
-            best = 0
-            for lo, hi in spans:
-                for a in range(lo, hi, 3000):
-                    part = ids[a : min(hi, a + 4000)]
-                    # cheap bound: enough answers must occur at all
-                    if np.isin(item[answer], part).sum() < 2:
-                        continue
-                    held = passages_found(align(item, part), answer)
-                    best = max(best, sum(x[0] for x in held[:2]))
-            if best >= MIN_WORDS and best >= MIN_SHARE * self.sizes[k]:
+            best, need, held = 0, max(MIN_WORDS, MIN_SHARE * self.sizes[k]), set()
+            # a passage too short for a candidate window is looked for in the whole text once another is found
+            for around in (spans, [[0, len(ids)]]):
+                for lo, hi in around:
+                    for a in range(lo, hi, 3000):
+                        part = ids[a : min(hi, a + 4000)]
+                        # cheap bound: a stretch has an answer
+                        if not np.isin(item[answer], part).any():
+                            continue
+                        words, more = best_two(item, answer, part, need)
+                        best = max(best, words)
+                        held.update(_moved(more, 0, a))
+                best = max(best, joined(list(held)))
+                if best >= need or not held or spans == [[0, len(ids)]]:
+                    break
+            if best >= need:
                 out.append((self.ids[k], best))
         return out
 
@@ -370,7 +406,7 @@ def randomised_svd(passages: DataFrame, width: int, rank: int = RANK, seed: int
 def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, words): documents that hold enough of an item, and how many of its words.
 
-    words counts the best two stretches. Null ids and texts and empty texts match nothing; repeated rows give one row. Items are
+    words counts the best two stretches in order, wherever in the text they are. Null ids and texts and empty texts match nothing; repeated rows give one row. Items are
     worked off in blocks (a bounded number of items against all documents), so the tasks' copy is bounded.
     """
     spark = documents.sparkSession

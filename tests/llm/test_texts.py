@@ -95,6 +95,25 @@ def test_hot_item_without_digits(spark, cases):
     assert found(spark, docs + more, both) == want | {(1000 + i, 40) for i in range(20)}
 
 
+@pytest.mark.parametrize("gap", [350, 5000])
+def test_two_far_passages(spark, cases, gap):
+    """Ten words and ten words of an item count together, however much is said between; in the wrong order they do not."""
+    docs, items, want = cases
+    text = "Herons nested beneath rusted viaducts while carpenters varnished eleven lecterns for visiting bishops. Quarrelsome millers bartered saffron against tallow until an abbess locked every granary in Thornwick before harvest."
+    w, talk = text.split(), ("small growers welcome the figures placed in the library " * gap).split()[:gap]
+    a, b = " ".join(w[:10]), " ".join(w[-10:])
+    more = [(1001, f"{a} {' '.join(talk)} {b}", "x", 1, "y"), (1002, f"{b} {' '.join(talk)} {a}", "x", 1, "y"), (1003, f"{' '.join(talk)} {a}", "x", 1, "y")]
+    assert found(spark, docs + more, [*items, (40, text)]) == want | {(1001, 40)}
+
+
+def test_one_answer_is_enough():
+    index = lk.ItemIndex.of([(1, " ".join(f"word{chr(97 + i)}" for i in range(15)) + " 1998 tail.")])
+    n = len(index.vocab)
+    index.settle(np.full(n, 1000), np.zeros(n, np.int64), 1000, {}, 1)
+    index.candidates = lambda ids, idf: {0: [0]}
+    assert index.leaked("said " * 5 + " ".join(f"word{chr(97 + i)}" for i in range(15)) + " 1998 tail") == [(1, 17)]
+
+
 def test_no_rows(spark, cases):
     assert found(spark, [], cases[1]) == set() and found(spark, cases[0], []) == set()
 
