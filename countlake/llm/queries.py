@@ -56,7 +56,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, kind): the same with what was found."""
+    """(doc_id, kind, route): the same with what was found, and by which route."""
     return residue.residue(table(spark, d, "documents"))
 
 
