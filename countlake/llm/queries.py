@@ -45,6 +45,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_texts(table(spark, d, "documents"))
 
 
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): every text encoded and decoded again; null texts come back empty."""
+    return tokenizer.decode_ids(tokenizer.encode_texts(table(spark, d, "documents")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id): documents with a passage of an evaluation item."""
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
@@ -61,7 +66,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_kinds": p8_kinds, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
+    return {"p2_source": p2_source, "p2_source_day": p2_source_day, "p6_ids": p6_ids, "p6_text": p6_text, "p7_found": p7_found, "p8_found": p8_found, "p8_kinds": p8_kinds, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found}
 
 
 _PAIRS = """WITH bad AS (SELECT DISTINCT s.source_id, p.pixel_id FROM sources s JOIN pixels p USING (detector_id) WHERE (p.mask & 2) = 2),
@@ -82,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
     ranks = ", ".join(f"CAST(l[CAST(greatest(ceil({q}::DOUBLE * n), 1) AS BIGINT)] AS DOUBLE) AS p{q * 100:g}" for q in quantiles.QS)
     return {
         "p2_source_day": f"{_MEASURES} SELECT source_id, CAST(day AS VARCHAR) AS day, measure, n, CAST(0 AS BIGINT) AS rank_error, {ranks} FROM g",
+        "p6_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p3_found": f"{_PAIRS} SELECT id_a, id_b FROM pa",
         "p4_found": f"""{_PAIRS}, bo AS (SELECT id_a AS q, id_b AS o, cos FROM pa UNION ALL SELECT id_b, id_a, cos FROM pa),
 rk AS (SELECT q, o, row_number() OVER (PARTITION BY q ORDER BY cos DESC, o) AS r, count(*) OVER (PARTITION BY q) AS n FROM bo)

@@ -4,17 +4,21 @@ Text comes in slices. A regular run (letters, digits, other signs, white space)
 no later character can change it; a run longer than a slice is passed on piece by piece. Within a run
 the bytes go through ``MergeList.feed``: tokens are emitted once they end at least ``lookahead`` bytes
 before the end of what has been read, since by then no later byte can change them. So neither a long
-text nor a long run is ever held as a whole. ``ByteDecoder`` is the inverse state machine.
+text nor a long run is ever held as a whole, but for its ids. Every text takes this one way; the ids of short
+runs are remembered, as they recur. ``ByteDecoder`` is the inverse state machine.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from countlake.session import spread
 
 TOKENIZERS = "/opt/tokenizers"
-SLICE = 1 << 16
-#: Runs of up to this many bytes are merged at once and remembered; longer ones are fed in windows.
+#: Characters of a slice of text.
+SLICE = 4096
+#: Bytes of the parts in which a run is fed; runs of one part are remembered.
 SHORT = 512
 REMEMBERED = 400_000
 #: Fixed values of the public vocabulary: what makes a run, and which bytes stand for themselves.
@@ -45,8 +50,9 @@ def byte_symbols() -> dict[str, int]:
 class MergeList:
     """Vocabulary and ranked merges of a byte-level BPE."""
 
-    def __init__(self, path: str):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+    def __init__(self, source: str | bytes):
+        """source: the path of a vocabulary file, or its content."""
+        model = json.loads(Path(source).read_bytes() if isinstance(source, str) else source)["model"]
         symbol, vocab = byte_symbols(), model["vocab"]
         spell = lambda t: bytes(symbol[c] for c in t)
         self.bytes_of: dict[int, bytes] = {i: spell(t) for t, i in vocab.items() if all(c in symbol for c in t)}
@@ -132,8 +138,8 @@ class MergeList:
 class Encoder:
     """Texts to ids; remembers the ids of short runs."""
 
-    def __init__(self, path: str):
-        self.merges = MergeList(path)
+    def __init__(self, source: str | bytes):
+        self.merges = MergeList(source)
         self.runs = regex.compile(RUNS)
         self.classes = [regex.compile(f"{c}*+") for c in CLASSES]
         merges = self.merges
@@ -141,23 +147,23 @@ class Encoder:
         class Memory(dict):
             def __missing__(self, run: str) -> list[int]:
                 data = run.encode("utf-8")
-                if len(data) > SHORT:
-                    return list(merges.feed(data[i : i + SHORT] for i in range(0, len(data), SHORT)))
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                ids = self[run] = merges.merge(data)
+                ids = list(merges.feed(data[i : i + SHORT] for i in range(0, len(data), SHORT)))
+                if len(data) <= SHORT:
+                    if len(self) >= REMEMBERED:
+                        self.clear()
+                    self[run] = ids
                 return ids
 
         self.memory = Memory()
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= SLICE:
-            ids: list[int] = []
-            memory = self.memory
-            for run in self.runs.findall(text):
-                ids += memory[run]
-            return ids
-        return [t for part in self.stream(text[i : i + SLICE] for i in range(0, len(text), SLICE)) for t in part]
+        return list(self.encode_into(text, array("i")))
+
+    def encode_into(self, text: str, out: array) -> array:
+        """Appends the ids of a text to out, four bytes each."""
+        for part in self.stream(text[i : i + SLICE] for i in range(0, len(text), SLICE)):
+            out.extend(part)
+        return out
 
     def stream(self, slices: Iterable[str]) -> Iterator[list[int]]:
         """Ids of one text that comes in slices, as lists; they join to the ids of the whole text."""
@@ -173,8 +179,7 @@ class Encoder:
             held = held[at:]
             if len(held) > SLICE:
                 # one run fills what is held: pass its parts on until it ends
-                parts = self._long_run(held, source)
-                yield list(self.merges.feed(parts))
+                yield from ([t] for t in self.merges.feed(self._long_run(held, source)))
                 held = self.rest
         for run in self.runs.findall(held):
             yield self.memory[run]
@@ -217,13 +222,14 @@ class ByteDecoder:
         return self.state.decode(b"", True)
 
 
-_kept: dict[str, Encoder] = {}
+_kept: dict[bytes, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _kept:
-        _kept[path] = Encoder(path)
-    return _kept[path]
+def _encoder(model: bytes) -> Encoder:
+    key = hashlib.blake2b(model).digest()
+    if key not in _kept:
+        _kept[key] = Encoder(model)
+    return _kept[key]
 
 
 def encode_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -231,14 +237,21 @@ def encode_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe
 
     Empty and null texts give an empty list. One row comes out for every row that goes in, so repeated
     rows stay repeated and null ids stay; other columns are ignored. There is no shuffle, unless
-    the table has fewer parts than there are cores.
+    the table has fewer parts than there are cores. The vocabulary (one file, bounded) is read by the driver and shipped.
     """
+    carried = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(carried.value)
         for batch in batches:
-            ids = [encoder.encode(t) if t else [] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, ends = array("i"), [0]
+            for text in batch.column(1):  # one text at a time
+                value = text.as_py()
+                if value:
+                    encoder.encode_into(value, ids)
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
 
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")
@@ -246,9 +259,10 @@ def encode_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe
 
 def decode_ids(encoded: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """(doc_id, text): the texts back from their ids; a null list gives a null text."""
+    carried = encoded.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _encoder(vocabulary).merges
+        merges = _encoder(carried.value).merges
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():

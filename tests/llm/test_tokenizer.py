@@ -98,3 +98,29 @@ def test_operator(spark, library):
     back = {r.doc_id: r.text for r in tk.decode_ids(got).collect()}
     assert back[4] == "é" * 9000 and back[3] == ""
     assert tk.encode_texts(df.limit(0)).count() == 0
+
+
+def test_every_text_goes_through_the_transducer(library, data, monkeypatch):
+    monkeypatch.setattr(tk, "SLICE", 64)
+    encoder, fed, streamed = tk.Encoder(PATH), [], []
+    feed, stream = encoder.merges.feed, encoder.stream
+    encoder.merges.feed = lambda parts: fed.append(1) or feed(parts)
+    encoder.stream = lambda slices: streamed.append(1) or stream(slices)
+    many = texts(data)
+    assert all(encoder.encode(t) == library(t) for t in many)
+    # each text is streamed, and each run that is remembered was fed once
+    assert len(streamed) == len(many) and len(fed) >= len(encoder.memory) > 0
+
+
+def test_memory_of_a_long_text():
+    """Beside the text and its ids (four bytes each) only a slice is held."""
+    import tracemalloc
+
+    encoder = tk.Encoder(PATH)
+    encoder.encode("words and words of a speech. ")
+    text = "words and words of a speech. " * 40_000 + "x" * 300_000
+    tracemalloc.start()
+    ids = encoder.encode_into(text, tk.array("i"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 4 * len(ids) + 200 * tk.SLICE
