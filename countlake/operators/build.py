@@ -49,11 +49,16 @@ def from_triplets(triplets: DataFrame, num_data: int, num_pix: int, dim: DataFra
 
 
 def from_dense_rows(dense: DataFrame, num_data: int, num_pix: int) -> PatternFrame:
-    """From (pattern_id, values): one array of num_pix counts per pattern; shorter or longer ones are errors."""
-    long = dense.select("pattern_id", F.posexplode(F.when(F.size("values") == num_pix, F.col("values")).otherwise(F.raise_error(F.lit(f"a pattern needs {num_pix} values")).cast("array<int>"))).alias("pixel_id", "v"))
-    cnt = F.when(F.col("v") < 0, F.raise_error(F.lit("negative count")).cast("long")).otherwise(F.col("v").cast("long"))
-    entries = long.where("v <> 0").select("pattern_id", "pixel_id", cnt.alias("cnt"))
-    return PatternFrame(PatternMeta(num_data, num_pix), entries=entries, dim=dense.select("pattern_id"))
+    """From (pattern_id, values): one array of num_pix counts per pattern; shorter or longer ones are errors.
+
+    A null value counts 0. A row's compact form depends on that row only, so nothing is shuffled.
+    """
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<int>")
+    good = F.when(F.size("values") != num_pix, fail(f"a pattern needs {num_pix} values")).when(F.exists("values", lambda v: v < 0), fail("negative count")).otherwise(F.col("values").cast("array<int>"))
+    rows = dense.select("pattern_id", good.alias("values"))
+    place = lambda test: F.array_compact(F.transform("values", lambda v, i: F.when(test(v), i)))
+    rows = rows.select("pattern_id", place(lambda v: v == 1).alias("place_ones"), place(lambda v: v > 1).alias("place_multi"), F.filter("values", lambda v: v > 1).alias("count_multi"))
+    return PatternFrame(PatternMeta(num_data, num_pix), rows=rows)
 
 
 def from_array(spark: SparkSession, array: np.ndarray) -> PatternFrame:

@@ -111,6 +111,12 @@ class DetectorFrame:
             out[c] = np.asarray(rows[c])
         return out if dtype is None else out.astype(dtype)
 
+    def __array_function__(self, func, types, args, kwargs):
+        """np.concatenate((a, b, ..))."""
+        if func is not np.concatenate or kwargs.get("axis", 0) != 0 or len(args) > 1 and args[1] != 0:
+            return NotImplemented
+        return concat_detectors(args[0])
+
     # selection and masks ------------------------------------------------------------------------
     def __getitem__(self, index) -> DetectorFrame:
         """slice, boolean mask, list of ids (order and repetitions kept), or a list of PixelType."""
@@ -126,6 +132,10 @@ class DetectorFrame:
                 if ids.shape != (self.num_pix,):
                     raise IndexError(f"a mask needs {self.num_pix} values")
                 ids = np.flatnonzero(ids)
+            if ids.ndim != 1 or not np.issubdtype(ids.dtype, np.integer):
+                raise IndexError("an index is a slice, a mask, a list of integers or of pixel types")
+            if len(ids) and not ((ids >= -self.num_pix) & (ids < self.num_pix)).all():
+                raise IndexError(f"no such pixel of {self.num_pix}")
             ids = np.where(ids < 0, ids + self.num_pix, ids)
         table = pa.table({"new": pa.array(np.arange(len(ids)), pa.int32()), "pixel_id": pa.array(ids, pa.int32())})
         picked = self.pixels.join(small(self.spark.createDataFrame(table)), "pixel_id")
@@ -143,7 +153,13 @@ class DetectorFrame:
         return F.col("mask").bitwiseAND(bit_flags(flags)) == bit_flags(values)
 
     def _on(self, pixel_ids) -> Column:
-        return F.lit(True) if pixel_ids is None else F.col("pixel_id").isin([int(i) for i in pixel_ids])
+        if pixel_ids is None:
+            return F.lit(True)
+        if isinstance(pixel_ids, range) and len(pixel_ids):  # a regular choice is arithmetic
+            col = F.col("pixel_id")
+            inside = (col >= min(pixel_ids)) & (col <= max(pixel_ids))
+            return inside & (F.pmod(col - F.lit(pixel_ids[0]), F.lit(abs(pixel_ids.step))) == 0)
+        return F.col("pixel_id").isin([int(i) for i in pixel_ids])
 
     def mask_set(self, flags, values, pixel_ids=None) -> DetectorFrame:
         """The flagged bits set to those of ``values``; bits above the eighth are cleared."""
@@ -170,28 +186,32 @@ class DetectorFrame:
     def fit_sphere(self, stride: int = 1) -> tuple[np.ndarray, int]:
         """(centre, 1) of the sphere through the pixels, or (normal, 0) of a plane.
 
-        Sums of the normal equations over the pixels, then one small solve. ValueError if the
+        Sums of the centred normal equations over the pixels, then one small solve. ValueError if the
         pixels lie on a line.
         """
         p = self.pixels.where(F.col("pixel_id") % stride == 0)
-        cols = {"x": F.col("qx"), "y": F.col("qy"), "z": F.col("qz"), "o": F.lit(1.0)}
-        s = _norm3() * _norm3()
-        sums = {a + b: F.sum(cols[a] * cols[b]) for a in cols for b in cols} | {"s" + a: F.sum(s * cols[a]) for a in cols}
-        r = p.agg(*(v.alias(k) for k, v in sums.items())).first()
-        if r["oo"] is None:
+        # in coordinates about the mean and of unit size the equations are well conditioned
+        axes = ["qx", "qy", "qz"]
+        r = p.agg(*(F.avg(c).alias(c) for c in axes), *(F.stddev_pop(c).alias("s" + c) for c in axes)).first()
+        if r.qx is None:
             raise ValueError("no pixels")
+        mean, size = np.array([r[c] for c in axes]), float(np.sqrt(sum(r["s" + c] ** 2 for c in axes)))
+        if size == 0:
+            raise ValueError("the pixels lie on a line")
+        unit = {k: (F.col(c) - F.lit(float(m))) / F.lit(size) for k, c, m in zip("xyz", axes, mean)}
+        cols = unit | {"o": F.lit(1.0)}
+        s = unit["x"] * unit["x"] + unit["y"] * unit["y"] + unit["z"] * unit["z"]
+        sums = {a + b: F.avg(cols[a] * cols[b]) for a in cols for b in cols} | {"s" + a: F.avg(s * cols[a]) for a in cols}
+        r = p.agg(*(v.alias(k) for k, v in sums.items())).first()
         names = list(cols)
         a = np.array([[r[i + j] for j in names] for i in names])
-        mean = a[3, :3] / a[3, 3]
-        spread = a[:3, :3] / a[3, 3] - np.outer(mean, mean)
-        values, axes = np.linalg.eigh(spread)
+        values, turn = np.linalg.eigh(a[:3, :3])
         if values[1] <= 1e-9 * max(values[2], 1e-300):
             raise ValueError("the pixels lie on a line")
         if values[0] <= 1e-9 * values[2]:
-            return axes[:, 0], 0
-        # in coordinates about the mean and of unit size the equations are well conditioned
-        solution = np.linalg.lstsq(a, np.array([r["s" + i] for i in names]), rcond=None)[0]
-        return solution[:3] / 2, 1
+            return turn[:, 0], 0
+        solution = np.linalg.solve(a, np.array([r["s" + i] for i in names]))
+        return mean + size * solution[:3] / 2, 1
 
     def check_ewald_rad(self, rtol: float = FIT_TOLERANCE[0], atol: float = FIT_TOLERANCE[1]) -> bool:
         """Whether ewald_rad is the distance of the fitted centre from the origin, on a stride of the pixels."""

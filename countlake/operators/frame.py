@@ -28,6 +28,10 @@ from countlake.session import small
 DENSE_WARNING = 50_000_000
 #: Entries of a long product or id list that may be broadcast (measured or known on the driver).
 BLOCK = 4096
+#: Ids of a list that are pushed into a scan one by one.
+PUSHED_IDS = 10_000
+#: Dense values in one Arrow batch.
+DENSE_BATCH = 1 << 24
 
 
 class PatternFrame:
@@ -35,6 +39,25 @@ class PatternFrame:
         if rows is None and entries is None:
             raise ValueError("rows or entries are needed")
         self.meta, self._rows, self._entries, self._dim = meta, rows, entries, dim
+        #: Of a scan: its rows and which of its pattern_ids these are, in order.
+        self._scan: tuple[DataFrame, range] | None = None
+
+    @classmethod
+    def scanned(cls, meta: PatternMeta, rows: DataFrame, span: range | None = None) -> PatternFrame:
+        """A frame over a source that prunes by pattern_id: selections are predicates on the source's own ids."""
+        span = range(meta.num_data) if span is None else span
+        step = span.step if span else 1
+        col = F.col("pattern_id")
+        kept = rows
+        if span != range(meta.num_data):
+            low, high = (min(span[0], span[-1]), max(span[0], span[-1])) if span else (0, -1)
+            keep = (col >= low) & (col <= high)
+            keep = keep & (F.pmod(col - F.lit(span[0]), F.lit(abs(step))) == 0) if abs(step) != 1 else keep
+            new = F.expr(f"(pattern_id - {span.start}) div {step}").alias("pattern_id")
+            kept = rows.where(keep).select(new, *[c for c in rows.columns if c != "pattern_id"])
+        out = cls(PatternMeta(len(span), meta.num_pix), rows=kept)
+        out._scan = (rows, span)
+        return out
 
     # layouts ------------------------------------------------------------------------------------
     @property
@@ -131,7 +154,8 @@ class PatternFrame:
     def pattern(self, i: int) -> SparsePattern:
         """One pattern; negative ids count from the end."""
         at = self._norm(i)
-        row = self.rows.where(F.col("pattern_id") == at).first()
+        rows, at = (self.rows, at) if self._scan is None else (self._scan[0], self._scan[1][at])
+        row = rows.where(F.col("pattern_id") == at).first()
         if row is None:
             return SparsePattern(self.num_pix, [], [], [])
         return SparsePattern(self.num_pix, row.place_ones, row.place_multi, row.count_multi)
@@ -139,6 +163,9 @@ class PatternFrame:
     def slice(self, start: int | None = None, stop: int | None = None, step: int | None = None) -> PatternFrame:
         """Python's slice rules; a range predicate on pattern_id that reaches the scan."""
         a, b, c = slice(start, stop, step).indices(self.num_data)
+        if self._scan is not None:
+            rows, span = self._scan
+            return PatternFrame.scanned(self.meta, rows, span[slice(start, stop, step)])
         n = len(range(a, b, c))
         col = F.col("pattern_id")
         if c > 0:
@@ -161,6 +188,8 @@ class PatternFrame:
         if not isinstance(ids, DataFrame):
             ids = [self._norm(int(i)) for i in ids]
             num_data = len(ids)
+            if self._scan is not None:
+                return self._scan_take(ids)
             table = pa.table({"out_pos": pa.array(range(num_data), pa.int64()), "pattern_id": pa.array(ids, pa.int64())})
             ids = self.spark.createDataFrame(table)
         elif num_data is None:
@@ -171,6 +200,16 @@ class PatternFrame:
             return self._like(num_data=num_data, rows=move(self._rows))
         return self._like(num_data=num_data, entries=move(self._entries), dim=move(self.dim))
 
+    def _scan_take(self, ids: list[int]) -> PatternFrame:
+        """A list of ids reaches the source: as the list itself up to PUSHED_IDS of them, else as their extent."""
+        rows, span = self._scan
+        own = [span[i] for i in ids]
+        some = sorted(set(own))
+        kept = rows.where(F.col("pattern_id").isin(some) if len(some) <= PUSHED_IDS else F.col("pattern_id").between(some[0], some[-1]))
+        table = pa.table({"out_pos": pa.array(range(len(own)), pa.int64()), "pattern_id": pa.array(own, pa.int64())})
+        moved = kept.join(small(self.spark.createDataFrame(table)), "pattern_id").select(F.col("out_pos").alias("pattern_id"), *[c for c in rows.columns if c != "pattern_id"])
+        return self._like(num_data=len(own), rows=moved)
+
     def where_ids(self, ids: DataFrame) -> PatternFrame:
         """The patterns named in a DataFrame (pattern_id), in ascending order and once each."""
         kept = self.dim.join(ids.select("pattern_id").distinct(), "pattern_id", "left_semi")
@@ -255,9 +294,14 @@ class PatternFrame:
 
     # algebra ------------------------------------------------------------------------------------
     def __matmul__(self, other) -> DataFrame:
-        """(pattern_id, j, value): the product with a P x K matrix, zeros of empty patterns included.
+        """(pattern_id, j, value): the product with a P x K matrix; see ``matmul``."""
+        return self.matmul(other)
+
+    def matmul(self, other, columns: int | None = None) -> DataFrame:
+        """(pattern_id, j, value): the product with a P x K matrix, all N x K values with their zeros.
 
-        other: array, sparse array, or a DataFrame (pixel_id, j, w). Only non-zero weights are joined.
+        other: array, sparse array, or a DataFrame (pixel_id, j, w) with K in columns (else the largest j and
+        one more). Only non-zero weights are joined. The N x K result is dense by definition: K decides its size.
         """
         if isinstance(other, DataFrame):
             right = other
@@ -273,9 +317,10 @@ class PatternFrame:
             else:
                 i, j, w, k = coo.row, coo.col, coo.data, coo.shape[1]
             right = self.spark.createDataFrame(pa.table({"pixel_id": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "w": pa.array(np.asarray(w, np.float64))}))
-            columns = self.spark.range(k).select(F.col("id").cast("int").alias("j"))
-        if isinstance(other, DataFrame):
-            columns = right.select("j").distinct()
+            columns = k
+        if columns is None:
+            columns = right.agg(F.coalesce(F.max("j") + 1, F.lit(0)).alias("k")).first().k
+        columns = self.spark.range(columns).select(F.col("id").cast("int").alias("j"))
         prod = self.entries.join(small(right), "pixel_id").groupBy("pattern_id", "j").agg(F.sum(F.col("cnt") * F.col("w")).alias("value"))
         grid = self.dim.crossJoin(small(columns))
         return grid.join(prod, ["pattern_id", "j"], "left").select("pattern_id", "j", F.coalesce("value", F.lit(0)).alias("value"))
@@ -301,10 +346,10 @@ class PatternFrame:
         """(pattern_id, values): every pattern as an array of num_pix counts."""
         if self.num_data * self.num_pix > DENSE_WARNING:
             warnings.warn(f"{self.num_data} x {self.num_pix} dense values", stacklevel=2)
-        num_pix = self.num_pix
+        num_pix, step = self.num_pix, max(1, DENSE_BATCH // max(self.num_pix, 1))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
                 n = batch.num_rows
                 out = np.zeros((n, num_pix), np.int32)
                 for places, counts in (("place_ones", None), ("place_multi", "count_multi")):
@@ -323,6 +368,21 @@ class PatternFrame:
             out[r.pattern_id, r.pixel_id] = r.cnt
         return out if dtype is None else out.astype(dtype)
 
+    def __array_function__(self, func, types, args, kwargs):
+        """np.concatenate((a, b, ..), axis=0, casting="safe")."""
+        if func is not np.concatenate:
+            return NotImplemented
+        return concatenate(*args, **kwargs)
+
+    def tocsr(self) -> DataFrame:
+        """(pattern_id, start, past, pixel_ids, counts): a row per pattern, its entries in order of pixel and their range
+        among all entries (start is the row pointer)."""
+        rows = self.ordered().rows
+        pairs = F.array_sort(F.concat(F.transform("place_ones", lambda x: F.struct(x.alias("p"), F.lit(1).cast("long").alias("c"))), F.transform(F.arrays_zip("place_multi", "count_multi"), lambda x: F.struct(x["place_multi"].alias("p"), x["count_multi"].cast("long").alias("c")))))
+        rows = rows.select("pattern_id", pairs.alias("e"), F.size(pairs).cast("long").alias("n"))
+        at = prefix_sums(rows, "pattern_id", {"n": "start"})
+        return at.select("pattern_id", "start", (F.col("start") + F.col("n")).alias("past"), F.transform("e", lambda x: x["p"]).alias("pixel_ids"), F.transform("e", lambda x: x["c"]).alias("counts"))
+
     def one_entries(self) -> DataFrame:
         return self.entries.where("cnt = 1")
 

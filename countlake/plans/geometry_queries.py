@@ -59,10 +59,10 @@ def good_pixels(spark, d):
     return _rounded(part_detector(spark, d)[[PixelType.GOOD, PixelType.CORNER]].pixels.select("pixel_id", "factor", "mask"), "factor")
 
 
-@query(f"WITH {PIX} SELECT pixel_id, CASE WHEN pixel_id % 2 = 0 THEN (mask & 253) | 2 ELSE mask END AS mask FROM pix WHERE pixel_id < 60")
+@query(f"WITH {PIX} SELECT pixel_id, CASE WHEN pixel_id % 2 = 0 THEN (mask & 253) | 2 ELSE mask END AS mask FROM pix")
 def bitmask_set(spark, d):
     det = part_detector(spark, d)
-    return det.mask_set([1], 2, range(0, det.num_pix, 2)[:30]).pixels.select("pixel_id", "mask").where("pixel_id < 60")
+    return det.mask_set([1], 2, range(0, det.num_pix, 2)).pixels.select("pixel_id", "mask")
 
 
 @query(f"WITH {PIX} SELECT pixel_id, xor(mask, 3) AS mask FROM pix")

@@ -150,11 +150,11 @@ def concat_cols(spark, d):
     return pf.concat_pixels([m, m**2]).entries
 
 
-@query(f"WITH {COO} SELECT 1 AS source_id, pattern_id - 400 AS source_row, pattern_id, pixel_id, cnt FROM coo WHERE pattern_id >= 400 AND pattern_id < 450")
+@query(f"WITH {COO} SELECT CASE WHEN pattern_id < 400 THEN 0 WHEN pattern_id < 1000 THEN 1 ELSE 2 END AS source_id, pattern_id - CASE WHEN pattern_id < 400 THEN 0 WHEN pattern_id < 1000 THEN 400 ELSE 1000 END AS source_row, pattern_id, pixel_id, cnt FROM coo")
 def list_gather(spark, d):
-    """Rows of the second member of a virtual list of three."""
+    """All members of a virtual list of three, with the member and row each entry comes from."""
     m = matrix(spark, d)
-    members = pf.source_list([m[:400], m[400:1000], m[1000:]]).where("source_id = 1 and pattern_id < 450")
+    members = pf.source_list([m[:400], m[400:1000], m[1000:]])
     long = long_counts(members)
     return members.select("source_id", "source_row", "pattern_id").join(long, "pattern_id").select("source_id", "source_row", "pattern_id", "pixel_id", "cnt")
 
@@ -193,10 +193,10 @@ def pow2(spark, d):
     return (matrix(spark, d) ** 2).entries
 
 
-@query("SELECT CAST(id AS BIGINT) AS pattern_id, CAST(16 AS BIGINT) AS ones, CAST(0 AS BIGINT) AS multi, CAST(16 AS BIGINT) AS total FROM range(64) AS t(id)")
+@query("SELECT o_orderkey AS pattern_id, p AS ones, CAST(0 AS BIGINT) AS multi, p AS total FROM orders, (SELECT count(*) AS p FROM part)")
 def pow0(spark, d):
-    """A matrix to the power 0 is all ones."""
-    return (matrix(spark, d)[:64, :16] ** 0).row_stats()
+    """A matrix to the power 0 is all ones; totals need no single entry."""
+    return (matrix(spark, d) ** 0).row_stats()
 
 
 @query("SELECT vec_id AS pattern_id, CAST(i - 1 AS INTEGER) AS pixel_id, CAST(floor(abs(CAST(embedding[i] AS DOUBLE)) * 20.0::DOUBLE) AS BIGINT) AS cnt FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE floor(abs(CAST(embedding[i] AS DOUBLE)) * 20.0::DOUBLE) > 0")

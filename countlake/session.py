@@ -17,11 +17,13 @@ BROADCAST_ROWS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``, else (tests only) a local one.
 
-    A session without the setting gets a folder under the system's temporary directory, which is
-    right on one machine only; on a cluster the setting has to name a shared file system.
+    A session on one machine without the setting gets a folder under the system's temporary directory; on a
+    cluster the setting has to name a shared file system, and its absence is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="countlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     sc = spark.sparkContext

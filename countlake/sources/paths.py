@@ -61,6 +61,13 @@ class InnerPath:
             else:
                 yield f[self.name]
 
+    @classmethod
+    def __get_pydantic_core_schema__(cls, source, handler):
+        """Lets pydantic models have fields of this type: strings and paths are parsed, and written as ``file::name``."""
+        from pydantic_core import core_schema
+
+        return core_schema.no_info_plain_validator_function(inner_path, serialization=core_schema.to_string_ser_schema())
+
     def _repr_html_(self) -> str:
         from countlake.functions.misc import html_card
 

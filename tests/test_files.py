@@ -8,7 +8,7 @@ import pytest
 
 from countlake.functions.misc import bit_flags, divide_range, html_card, pretty_size
 from countlake.operators.build import from_array, patterns
-from countlake.sources import arrays, countfile, hdf5, objects
+from countlake.sources import arrays, countfile, countsource, hdf5, objects
 from countlake.sources.countsource import read_counts, scan, to_image, write_counts
 from countlake.sources.paths import InnerPath, has_inner, inner_path, make_path, split_path
 from tests.test_matrix import SMALL, gen_dense
@@ -168,3 +168,66 @@ def test_helpers():
     with pytest.raises(ValueError):
         bit_flags(256)
     assert "&lt;" in html_card("<", {"a": 1.5}, details={"b": None}, bars=[("c", 200)])
+
+
+def _members(spark, tmp_path, sizes=(5, 7, 0, 11, 4), num_pix=20):
+    rng = np.random.default_rng(8)
+    arrays = [rng.integers(0, 4, (n, num_pix)) for n in sizes]
+    for k, a in enumerate(arrays):
+        (tmp_path / f"m{k:02d}.emc").write_bytes(countsource.to_image(from_array(spark, a)))
+    return np.concatenate(arrays), sorted(map(str, tmp_path.glob("*.emc")))
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    want, paths = _members(spark, tmp_path)
+    m = countsource.read_counts(spark, f"{tmp_path}/*.emc")
+    assert m.shape == want.shape and (np.asarray(m) == want).all() and (np.asarray(countsource.read_counts(spark, paths[::-1])) == np.concatenate([np.asarray(countsource.read_counts(spark, p)) for p in paths[::-1]])).all()
+    assert (np.asarray(m[3:20][2:9]) == want[3:20][2:9]).all() and (np.asarray(m[::-3][1:4]) == want[::-3][1:4]).all() and len(m[9:9]) == 0
+    assert (np.asarray(m[[26, 0, 26, 12, -1]]) == want[[26, 0, 26, 12, -1]]).all() and (m[-2] == want[-2]).all() and (np.asarray(m[5:][[1, 0]]) == want[5:][[1, 0]]).all()
+    mask = want.sum(1) % 2 == 0
+    assert (np.asarray(m[mask]) == want[mask]).all()
+    plan = m[3:20].rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1
+    (tmp_path / "z.emc").write_bytes(countsource.to_image(from_array(spark, want[:1, :3])))
+    with pytest.raises(ValueError):
+        countsource.read_counts(spark, f"{tmp_path}/*.emc")
+
+
+def test_a_selection_opens_only_its_files(spark, tmp_path, monkeypatch):
+    """10,000 files: partitions name only those that are touched, and the driver opens none."""
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
+
+    files = [(f"{tmp_path}/none{k}.emc", 10, 2000) for k in range(10_000)]
+    touched = lambda r: [p for part in r.partitions() for p in part.pieces]
+
+    def reader(*filters):
+        r = countsource.CountFileReader(files, ["ones"], 1 << 20)
+        assert list(r.pushFilters(filters)) == []
+        return r
+
+    got = touched(reader(GreaterThanOrEqual(("pattern_id",), 1205), LessThan(("pattern_id",), 1225)))
+    assert [(p.path[-11:], p.first, p.past) for p in got] == [("none120.emc", 5, 10), ("none121.emc", 0, 10), ("none122.emc", 0, 5)]
+    got = touched(reader(In(("pattern_id",), (7, 99_999, 3))))
+    assert [(p.start, p.rows) for p in got] == [(0, (3, 7)), (99_990, (9,))]
+    assert [p.start for p in touched(reader(EqualTo(("pattern_id",), 55)))] == [50] and touched(reader(LessThan(("pattern_id",), 0))) == []
+    whole = reader()
+    assert len(whole.partitions()) == 20 and len(touched(whole)) == 10_000
+
+
+def test_headers_of_many_files_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    want, paths = _members(spark, tmp_path)
+    monkeypatch.setattr(countsource, "DRIVER_HEADERS", 2)
+    assert (np.asarray(countsource.read_counts(spark, paths)[4:15]) == want[4:15]).all()
+    assert countsource.read_counts(spark, "/nowhere.emc", num_data=3, num_pix=5).shape == (3, 5)
+
+
+def test_ids_are_pushed_into_the_scan(spark, tmp_path):
+    _, paths = _members(spark, tmp_path)
+    m = countsource.read_counts(spark, paths)
+    plan = m[[3, 17]].rows._jdf.queryExecution().executedPlan().toString()
+    assert "pattern_id" in plan and "IN" in plan.upper()
+    # a missing member matters only if it is touched
+    import os
+
+    os.remove(paths[-1])
+    assert len(np.asarray(m[0:5])) == 5 and len(np.asarray(m[[1, 2]])) == 2

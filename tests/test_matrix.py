@@ -247,3 +247,38 @@ def test_laws(spark, a, k):
 
 def test_display(small):
     assert "32 x 4" in repr(small) and "516 B" in small.describe() and "<section>" in small._repr_html_()
+
+
+def test_product_keeps_columns_without_weights(spark):
+    m = from_array(spark, np.array([[1, 2], [0, 0]]))
+    w = spark.createDataFrame([(0, 0, 1), (1, 2, 5)], "pixel_id int, j int, w int")
+    assert sorted(map(tuple, m.matmul(w).collect())) == [(0, 0, 1), (0, 1, 0), (0, 2, 10), (1, 0, 0), (1, 1, 0), (1, 2, 0)]
+    assert m.matmul(w, columns=5).count() == 10
+
+
+def test_dense_batches_are_bounded(spark, monkeypatch):
+    import countlake.operators.frame as fr
+
+    monkeypatch.setattr(fr, "DENSE_BATCH", 40)
+    a = np.arange(300).reshape(20, 15) % 4
+    got = {r.pattern_id: r["values"] for r in from_array(spark, a).todense().collect()}
+    assert all(got[i] == a[i].tolist() for i in range(20))
+
+
+def test_dense_rows_need_no_shuffle(spark):
+    from countlake.operators.build import from_dense_rows
+
+    df = spark.createDataFrame([(0, [0, 1, 5]), (1, [0, 0, 0]), (2, [None, 2, 1])], "pattern_id long, values array<int>")
+    m = from_dense_rows(df, 3, 3)
+    assert "Exchange" not in m.rows._jdf.queryExecution().executedPlan().toString()
+    assert np.asarray(m).tolist() == [[0, 1, 5], [0, 0, 0], [0, 2, 1]]
+    for bad in ([1, 2], [0, -1, 2]):
+        with pytest.raises(Exception, match="needs 3 values|negative"):
+            from_dense_rows(spark.createDataFrame([(0, bad)], "pattern_id long, values array<int>"), 1, 3).rows.collect()
+
+
+def test_numpy_concatenate(spark):
+    a, b = np.array([[1, 0], [0, 3]]), np.array([[2, 2], [1, 1]])
+    m, n = from_array(spark, a), from_array(spark, b)
+    assert (np.asarray(np.concatenate((m, n))) == np.concatenate((a, b))).all() and (np.asarray(np.concatenate([m, n], axis=1)) == np.concatenate([a, b], axis=1)).all()
+    assert [tuple(r)[:3] for r in m.tocsr().orderBy("pattern_id").collect()] == [(0, 0, 1), (1, 1, 2)]
