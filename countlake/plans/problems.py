@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.operators.outliers import implausible_entries
+from countlake.operators.outliers import implausible_entries, residual_spikes
 from countlake.session import table
 from countlake.streaming.compactor import StreamingCompactor
 
@@ -16,8 +16,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_files(spark: SparkSession, d: str) -> DataFrame:
-    """The compacted files of every list, one row per new file."""
-    return StreamingCompactor.fresh(spark, f"{d}/frame_files.parquet").advance().compacted()
+    """The compacted files of every list as written, one row per file."""
+    return StreamingCompactor.fresh(spark, f"{d}/frame_files.parquet").advance().compact().files()
+
+
+def p1_records(spark: SparkSession, d: str) -> DataFrame:
+    """(list_id, records, exposures): what the written files hold of each list, counted after reading them back."""
+    files = StreamingCompactor.fresh(spark, f"{d}/frame_files.parquet").advance().compact().files()
+    return files.groupBy("list_id").agg(F.sum("num_data").alias("records"), F.sum(F.aggregate("exposure_nos", F.lit(0).cast("long"), lambda a, x: a + x)).alias("exposures"))
 
 
 def _flagged(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +40,13 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return _flagged(spark, d)
 
 
+def p5_residuals(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that stand out of their source's autoregression, with their robust residual."""
+    return residual_spikes(table(spark, d, "pattern_rows"), table(spark, d, "sources"), table(spark, d, "pixels"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_files": p1_files, "p5_found": p5_found, "p5_flags": p5_flags}
+    return {"p1_found": p1_found, "p1_files": p1_files, "p1_records": p1_records, "p5_residuals": p5_residuals, "p5_found": p5_found, "p5_flags": p5_flags}
 
 
 _P5 = """WITH pr AS (SELECT pattern_id, source_id, max({'p': place_multi, 'c': count_multi}) AS e FROM pattern_rows WHERE pattern_id IS NOT NULL AND source_id IS NOT NULL GROUP BY 1, 2),

@@ -4,6 +4,9 @@ The catalogue of files is read as a stream: the checkpoint remembers which of it
 seen, each available part is processed in one micro-batch, and a batch writes its records under its
 own number, replacing whatever an interrupted attempt left there. The records then carry where they
 came from, so a record delivered twice, in whatever batches, is kept once: that of the smallest file_id.
+
+``compact`` writes the new files of the lists that batches since its last run have touched, under the number of the
+last batch as their version; a list's files are those of its latest version. Lists without news are not read again.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countlake.session import fresh_path, stream_path
+from countlake.session import cut, fresh_path, small, stream_path
 from countlake.sources.countfile import DamagedFile, assemble, parse
 
 RECORD = "list_id long, exposure_no long, file_id long, row_no long, num_pix int, place_ones array<int>, place_multi array<int>, count_multi array<int>"
+FILE = "list_id long, num_pix int, part_no long, num_data long, nbytes long, exposure_nos array<bigint>, payload binary"
 #: Bytes a compacted file should have at most; a group being assembled is about as large in memory.
 TARGET_BYTES = 64 << 20
 
@@ -85,8 +89,10 @@ class StreamingCompactor:
         return cls(spark, source, fresh_path(spark, "compact"), **kw)
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
-        # a catalogue row that is repeated within the batch is decoded once
-        decode_files(batch.dropDuplicates(["file_id", "list_id"])).write.mode("overwrite").parquet(f"{self.state}/records/batch={batch_id:09d}")
+        # a catalogue row that is repeated within the batch is decoded once; of differing ones that with the smallest hash,
+        # so that a retry takes the same
+        first = batch.groupBy("file_id", "list_id").agg(F.min(F.struct(F.xxhash64("payload", "exposure_nos").alias("h"), "payload", "exposure_nos")).alias("f"))
+        decode_files(first.select("file_id", "list_id", "f.exposure_nos", "f.payload")).write.mode("overwrite").parquet(f"{self.state}/records/batch={batch_id:09d}")
 
     def advance(self) -> StreamingCompactor:
         """Process everything that is available and not yet processed."""
@@ -96,14 +102,45 @@ class StreamingCompactor:
         query.awaitTermination()
         return self
 
+    def _numbers(self, folder: str, label: str) -> list[int]:
+        """The numbers of a folder's finished parts, label=number each."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{folder}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        parts = [s.getPath() for s in fs.listStatus(path)]
+        done = lambda p: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return sorted(int(p.getName().split("=")[1]) for p in parts if p.getName().startswith(f"{label}=") and done(p))
+
     def records(self) -> DataFrame:
         """All deliveries of records so far; a file seen by two batches has them twice."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.state}/records")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        if not self._numbers("records", "batch"):
             return self.spark.createDataFrame([], RECORD)
         return self.spark.read.schema(RECORD).parquet(f"{self.state}/records/batch=*")
 
+    def compact(self, target_bytes: int = TARGET_BYTES) -> StreamingCompactor:
+        """Write the files of all lists that have news. An interrupted run leaves no finished version and is done again
+        under the same number."""
+        batches, versions = self._numbers("records", "batch"), self._numbers("files", "version")
+        news = [b for b in batches if not versions or b > versions[-1]]
+        if news:
+            fresh = self.spark.read.schema(RECORD).parquet(*(f"{self.state}/records/batch={b:09d}" for b in news))
+            touched = cut(fresh.select("list_id").distinct(), "touched-lists")
+            self.compacted(target_bytes, touched if versions else None).write.mode("overwrite").parquet(f"{self.state}/files/version={news[-1]:09d}")
+        return self
+
+    def files(self) -> DataFrame:
+        """(list_id, num_pix, part_no, num_data, nbytes, exposure_nos, payload, version): the written files, each list by its latest version."""
+        schema = f"{FILE}, version long"
+        if not (versions := self._numbers("files", "version")):
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.state}/files/version={v:09d}" for v in versions]
+        every = self.spark.read.schema(schema).option("basePath", f"{self.state}/files").parquet(*paths)
+        if len(versions) == 1:
+            return every
+        latest = every.groupBy("list_id").agg(F.max("version").alias("version"))
+        return every.join(small(latest), ["list_id", "version"], "left_semi")
+
     def repeated(self) -> DataFrame:
         """Distinct (file_id, row_no) of deliveries whose record is in a readable file of smaller id.
 
@@ -114,25 +151,25 @@ class StreamingCompactor:
         first = keys.groupBy("list_id", "exposure_no").agg(F.min("file_id").alias("first"), F.max("file_id").alias("last")).where("last > first").drop("last")
         return keys.join(first, ["list_id", "exposure_no"]).where("file_id > first").select("file_id", "row_no").distinct()
 
-    def unique(self) -> DataFrame:
-        """Each record of each list once: that of the smallest (file_id, row_no)."""
-        r = self.records()
+    def unique(self, lists: DataFrame | None = None) -> DataFrame:
+        """Each record of each list (or of those in ``lists``) once: that of the smallest (file_id, row_no)."""
+        r = self.records() if lists is None else self.records().join(small(lists), "list_id", "left_semi")
         rest = [c for c in r.columns if c not in ("list_id", "exposure_no", "file_id", "row_no")]
         first = r.groupBy("list_id", "exposure_no").agg(F.min(F.struct("file_id", "row_no")).alias("k")).select("list_id", "exposure_no", "k.file_id", "k.row_no")
         return r.join(first, ["list_id", "exposure_no", "file_id", "row_no"], "left_semi").dropDuplicates(["list_id", "exposure_no", "file_id", "row_no"]).select("list_id", "exposure_no", *rest)
 
-    def compacted(self, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    def compacted(self, target_bytes: int = TARGET_BYTES, lists: DataFrame | None = None) -> DataFrame:
         """(list_id, num_pix, part_no, num_data, nbytes, exposure_nos, payload): the new files.
 
         A list gets as many files as its bytes demand, at least one; a large list is spread over
         its files by a hash of the exposure number. Within a file records are in order of exposure number.
         """
-        rows = self.unique().withColumn("bytes", (F.lit(8) + 4 * F.size("place_ones") + 8 * F.size("place_multi")).cast("long"))
+        rows = self.unique(lists).withColumn("bytes", (F.lit(8) + 4 * F.size("place_ones") + 8 * F.size("place_multi")).cast("long"))
         parts = rows.groupBy("list_id", "num_pix").agg(F.ceil(F.sum("bytes") / F.lit(target_bytes)).cast("long").alias("parts"))
         placed = rows.join(parts, ["list_id", "num_pix"]).withColumn("part_no", F.pmod(F.xxhash64("exposure_no"), F.greatest("parts", F.lit(1).cast("long"))))
         key = ["list_id", "num_pix", "part_no"]
         ready = placed.select(*key, "exposure_no", "place_ones", "place_multi", "count_multi").repartition(*key).sortWithinPartitions(*key, "exposure_no")
-        return ready.mapInArrow(_assemble, "list_id long, num_pix int, part_no long, num_data long, nbytes long, exposure_nos array<bigint>, payload binary")
+        return ready.mapInArrow(_assemble, FILE)
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,24 +206,27 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def export_files(compacted: DataFrame, folder: str) -> DataFrame:
     """Write the files into a folder all executors share; (list_id, part_no, file_path, nbytes).
 
-    Names are determined by list, pixel count and part, and a file appears by renaming a finished one,
-    so a task that runs again replaces its own output.
+    folder: a path or the URI of a file system that Arrow knows (file, hdfs, s3, gs). Names are determined by list,
+    pixel count and part, and a file appears by moving a finished one into place, so a task that runs again replaces
+    its own output.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                path = f"{folder}/list-{r['list_id']}-{r['num_pix']}-{r['part_no']:06d}.emc"
-                part = f"{path}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
+                name = f"list-{r['list_id']}-{r['num_pix']}-{r['part_no']:06d}.emc"
+                part = f"{root}/{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
                     f.write(r["payload"])
-                os.replace(part, path)
-                out.append((r["list_id"], r["part_no"], path, r["nbytes"]))
+                system.move(part, f"{root}/{name}")
+                out.append((r["list_id"], r["part_no"], f"{folder}/{name}", r["nbytes"]))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.string(), pa.int64()])], names=["list_id", "part_no", "file_path", "nbytes"])
 

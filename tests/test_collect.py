@@ -116,3 +116,32 @@ def test_empty_catalogue(spark, table):
     write(spark, table, [])
     c = StreamingCompactor.fresh(spark, table).advance()
     assert c.records().count() == 0 and c.repeated().count() == 0 and c.compacted().count() == 0
+
+
+def test_only_touched_lists_are_written_again(spark, table, tmp_path):
+    img = [[0, 1, 5, 0, 0, 0, 0, 0], [2, 0, 0, 0, 0, 0, 0, 1], [1, 1, 1, 0, 0, 0, 0, 0]]
+    f = lambda i, lst, exp: (i, lst, exp, payload([img[e] for e in exp]), 1, 1, "x")
+    write(spark, table, [f(1, 1, [0, 1]), f(2, 2, [0]), f(3, 3, [2])])
+    c = StreamingCompactor.fresh(spark, table).advance().compact()
+    assert sorted(records(c.files())) == sorted([(1, 0, tuple(img[0])), (1, 1, tuple(img[1])), (2, 0, tuple(img[0])), (3, 2, tuple(img[2]))])
+    first = {r.version for r in c.files().select("version").collect()}
+    write(spark, table, [f(4, 2, [1]), f(5, 2, [0])])
+    c.advance().compact()
+    versions = {r.list_id: r.version for r in c.files().collect()}
+    assert {versions[1], versions[3]} == first and versions[2] > max(first)
+    # the new version holds the touched list alone, and nothing is lost or doubled
+    assert {r.list_id for r in spark.read.parquet(f"{c.state}/files/version={versions[2]:09d}").collect()} == {2}
+    want = sorted([(1, 0, tuple(img[0])), (1, 1, tuple(img[1])), (2, 0, tuple(img[0])), (2, 1, tuple(img[1])), (3, 2, tuple(img[2]))])
+    assert sorted(records(c.files())) == want
+    # nothing new: nothing is written
+    assert c.advance().compact()._numbers("files", "version") == sorted({*first, versions[2]})
+    # an interrupted run leaves an unfinished version, which is not read and is written again
+    write(spark, table, [f(6, 3, [1])])
+    c.advance()
+    (last,) = set(c._numbers("records", "batch")) - {*first, versions[2]}
+    spark.createDataFrame([(9, 8, 0, 1, 1, [7], b"x")], "list_id long, num_pix int, part_no long, num_data long, nbytes long, exposure_nos array<bigint>, payload binary").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{c.state}/files/version={last:09d}")
+    assert sorted(records(c.files())) == want
+    assert sorted(records(c.compact().files())) == sorted([*want, (3, 1, tuple(img[1]))])
+    out = export_files(c.files(), (tmp_path / "uri").as_uri()).collect()
+    assert len(out) == 3 and all(r.file_path.startswith("file:") for r in out)
+    assert len(list((tmp_path / "uri").iterdir())) == 3
