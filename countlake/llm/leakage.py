@@ -3,7 +3,8 @@
 1. Items are cut into passages of PASSAGE words; words are weighted by inverse document frequency
    over all documents. A randomised SVD of the passage matrix (sums of partial products over the
    passages' partitions) gives the latent space.
-2. Each document is read once, in windows of WINDOW words. Windows whose weight lies too little in the
+2. Documents are cut into words once: a written table holds them as 64-bit keys, which every block of items reads. Each
+   document is looked at in windows of WINDOW words. Windows whose weight lies too little in the
    items' vocabulary cannot reach the cosine (Cauchy-Schwarz), and windows without a single answer word
    cannot pass the last step; the others are compared with all passages in the latent space.
 3. A candidate is aligned word by word with the item: the longest common subsequence with gap costs.
@@ -17,12 +18,12 @@ however often it occurs; a formula, which comes without the rest of the item, st
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countlake.session import spread
+from countlake.session import cut, spread
 
 PASSAGE, PASSAGE_STEP = 24, 8
 WINDOW, WINDOW_STEP = 32, 16
@@ -50,8 +51,9 @@ ANSWER_SHARE, ANSWER_ITEMS = 0.01, 2
 ANSWER_DOCUMENT_SHARE, ANSWER_DOCUMENTS = 0.003, 4
 #: Successive words by which a document is seen to repeat a sentence of an item.
 GRAM = 4
-#: Items handled at once; their table is checked and worked off in blocks of this many.
-ITEM_BLOCK = 4000
+#: Items handled at once; their table is checked and worked off in blocks of this many. The driver holds the basis of one
+#: block: words of its items (some 30,000) times RANK + OVERSAMPLE numbers, about 130 MB, two or three times over.
+ITEM_BLOCK = 2000
 #: Costs of the alignment in units of one agreeing word.
 ALTERED, INTERRUPTED, PER_WORD, SKIPPED = -0.6, -1.2, -0.03, -1.2
 
@@ -86,6 +88,23 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(_THOUSANDS.sub("", text))
 
 
+class _Keys(dict):
+    """64-bit keys of words; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        return got
+
+
+_keys = _Keys()
+
+
+def keys_of(words: Iterable[str]) -> np.ndarray:
+    return np.fromiter((_keys[w] for w in words), np.int64)
+
+
 def align(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, bool]]:
     """Best local alignment of two sequences of word numbers: (item position, text position, agree).
 
@@ -191,6 +210,8 @@ class ItemIndex:
     latent: np.ndarray | None = None
     owner: np.ndarray | None = None
     asked: np.ndarray | None = None
+    sorted_keys: np.ndarray | None = None
+    sorted_at: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> ItemIndex:
@@ -202,8 +223,18 @@ class ItemIndex:
                 out.ids.append(item_id)
                 out.sizes.append(sum(map(len, sentences)))
                 out.words.append([np.array([out.vocab.setdefault(w, len(out.vocab)) for w in ws], np.int32) for ws in sentences if ws])
+        keys = keys_of(out.vocab)
+        out.sorted_at = np.argsort(keys, kind="stable")
+        out.sorted_keys = keys[out.sorted_at]
         return out
 
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Word numbers of keys, -1 for words no item has."""
+        if not len(self.sorted_keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
+        return np.where(self.sorted_keys[at] == keys, self.sorted_at[at], -1)
+
     def settle(self, df: np.ndarray, own: np.ndarray, total: int, item_share: dict[str, int], items: int) -> ItemIndex:
         """Weights and answer words from the counts over all documents and items; drops plain sentences.
 
@@ -264,11 +295,13 @@ class ItemIndex:
 
     def leaked(self, text: str) -> list[tuple[int, int]]:
         """(item_id, words held) of the items the text holds enough of."""
-        tokens = words_of(text)
-        if len(tokens) < MIN_WORDS:
+        return self.leaked_keys(keys_of(words_of(text)))
+
+    def leaked_keys(self, keys: np.ndarray) -> list[tuple[int, int]]:
+        """The same for the keys of a text's words."""
+        if len(keys) < MIN_WORDS:
             return []
-        get = self.vocab.get
-        ids = np.array([get(t, -1) for t in tokens], np.int32)
+        ids = self.numbers(keys).astype(np.int32)
         idf = np.where(ids >= 0, self.idf[ids], self.unknown)
         out = []
         for k, hits in self.candidates(ids, idf).items():
@@ -337,17 +370,38 @@ class Repeats:
         return np.unique(np.concatenate([self.sentences[k] for k in leaked])) if len(leaked) else np.zeros(0, np.int64)
 
 
-def _document_frequencies(documents: DataFrame, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, int]:
+def word_table(rows: DataFrame, id_column: str) -> DataFrame:
+    """(id, words): the words of each text, in order, as 64-bit keys; a written table, so no text is cut up twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keys_of(words_of(t)) if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "words"])
+
+    texts = rows.where(f"{id_column} is not null and text is not null").select(F.col(id_column).cast("long").alias("id"), "text")
+    return cut(spread(texts).mapInArrow(run, "id long, words array<bigint>"), "leak-words")
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, ends = np.asarray(column.values), np.asarray(column.offsets)
+    for a, b in zip(ends, ends[1:]):
+        yield flat[a:b]
+
+
+def _document_frequencies(words: DataFrame, index: ItemIndex) -> tuple[np.ndarray, np.ndarray, int]:
     """Documents that have each word of the vocabulary, those of them that a leaked item explains, and
     documents with text, over all rows."""
-    vocab, repeats = index.vocab, Repeats(index.words)
+    size, repeats = len(index.vocab), Repeats(index.words)
+    known = index  # before settle it holds words and keys only
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, own, total = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64), 0
+        n, own, total = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for keys in _lists(batch.column(0)):
                 total += 1
-                ids = np.array([vocab.get(w, -1) for w in words_of(text)], np.int64)
+                ids = known.numbers(keys)
                 has = np.unique(ids[ids >= 0])
                 n[has] += 1
                 own[np.intersect1d(has, repeats.explained(ids), assume_unique=True)] += 1
@@ -355,13 +409,22 @@ def _document_frequencies(documents: DataFrame, index: ItemIndex) -> tuple[np.nd
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(own[at])], names=["word", "n", "own"])
 
-    parts = documents.select("text").mapInArrow(count, "word long, n long, own long")
-    df, own = np.zeros(len(vocab) + 1, np.int64), np.zeros(len(vocab) + 1, np.int64)
+    parts = words.select("words").mapInArrow(count, "word long, n long, own long")
+    df, own = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     for r in parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).collect():  # at most one row per word of the block
         df[r.word], own[r.word] = r.n, r.own
     return df[:-1], own[:-1], int(df[-1])
 
 
+def _item_shares(item_words: DataFrame, index: ItemIndex) -> dict[str, int]:
+    """Items (of all) that have each word of the block."""
+    spark = item_words.sparkSession
+    vocab = list(index.vocab)
+    mine = spark.createDataFrame(pa.table({"key": pa.array(keys_of(vocab)), "word": pa.array(vocab)}))
+    rows = item_words.join(mine, "key").select("word", "n").collect()  # at most one row per word of the block
+    return {r.word: r.n for r in rows}
+
+
 def _passage_table(spark, index: ItemIndex) -> tuple[DataFrame, list]:
     passages = index.passages()
     weighted = [index.weights(ws) for _, ws in passages]
@@ -393,7 +456,7 @@ def randomised_svd(passages: DataFrame, width: int, rank: int = RANK, seed: int
             yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
 
         total = np.zeros(shape)
-        for r in passages.mapInArrow(part, "sum binary").collect():  # one partial sum for each of the few partitions
+        for r in passages.mapInArrow(part, "sum binary").toLocalIterator():  # one partial sum at a time, of few partitions
             total += np.frombuffer(r["sum"], np.float32).reshape(shape)
         return total
 
@@ -406,26 +469,23 @@ def randomised_svd(passages: DataFrame, width: int, rank: int = RANK, seed: int
 def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, words): documents that hold enough of an item, and how many of its words.
 
-    words counts the best two stretches in order, wherever in the text they are. Null ids and texts and empty texts match nothing; repeated rows give one row. Items are
-    worked off in blocks (a bounded number of items against all documents), so the tasks' copy is bounded.
+    words counts the best two stretches in order, wherever in the text they are. Null ids and texts and empty texts match
+    nothing; repeated rows give one row; other columns are ignored. Items are worked off in blocks (a bounded number of items against all documents), so the tasks' copy is bounded.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = spread(docs.where("text is not null"))
     its = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates(["item_id", "text"])
     n = its.count()
     blocks = max(1, math.ceil(n / block))
     its = its.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    share: Counter = Counter()
-    for r in its.select("text").toLocalIterator():
-        share.update(set(words_of(r.text)))
+    words = spread(word_table(documents, "doc_id"))
+    item_words = word_table(its, "item_id").select(F.explode(F.array_distinct("words")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     out = None
     for b in range(blocks):
         rows = [(r.item_id, r.text) for r in its.where(F.col("block") == b).orderBy("item_id", "text").collect()]
         index = ItemIndex.of(rows)
         if not index.ids:
             continue
-        index.settle(*_document_frequencies(docs, index), share, n)
+        index.settle(*_document_frequencies(words, index), _item_shares(item_words, index), n)
         if not index.ids:
             continue
         passages, listed = _passage_table(spark, index)
@@ -438,11 +498,11 @@ def leaked_items(documents: DataFrame, items: DataFrame, block: int = ITEM_BLOCK
         def search(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
             index = carried.value
             for batch in batches:
-                got = [(d, i, w) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t for i, w in index.leaked(t)]
+                got = [(d, i, w) for d, keys in zip(batch.column(0).to_pylist(), _lists(batch.column(1))) for i, w in index.leaked_keys(keys)]
                 cols = list(zip(*got)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "words"])
 
-        found = docs.mapInArrow(search, "doc_id long, item_id long, words long")
+        found = words.select("id", "words").mapInArrow(search, "doc_id long, item_id long, words long")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, words long")

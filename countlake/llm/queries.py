@@ -16,7 +16,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of patterns of the same Markov cluster."""
-    return mcl.cluster_pairs(mcl.pattern_clusters(_vectors(spark, d)).where("flow > 1.0"))
+    return mcl.cluster_pairs(mcl.pattern_clusters(_vectors(spark, d)))
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
