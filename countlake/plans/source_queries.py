@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from countlake.functions.misc import bit_flags, divide_range, html_card, pretty_size
 from countlake.operators import detector as dt
 from countlake.operators.build import filled, from_array, from_coo, from_rows, patterns
-from countlake.operators.frame import PatternFrame, concatenate
+from countlake.operators.frame import PatternFrame, concatenate, number
 from countlake.plans.geometry_queries import PIX as PIXELS
 from countlake.plans.geometry_queries import _rounded, part_detector
 from countlake.plans.matrix_queries import COO, matrix
@@ -272,18 +272,19 @@ def collected(spark, d):
 
 
 # arrays, objects, paths, helpers -----------------------------------------------------------------
-def _numbers(spark: SparkSession, d: str) -> np.ndarray:
-    return np.asarray(table(spark, d, "part").orderBy("p_partkey").select("p_retailprice").toArrow()["p_retailprice"])
+def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    """(pos, value): the retail prices in order of the key."""
+    return number(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("value")), "p_partkey").select("pos", "value")
 
 
 @query("SELECT suffix, p_partkey AS i0, p_retailprice AS value FROM part, (VALUES ('.bin'), ('.emc'), ('.npy')) AS t(suffix)")
 def array_files(spark, d):
     """A plain array through each kind of file."""
-    out = None
+    numbers, out = cut(_numbers(spark, d), "numbers"), None
     for suffix in (".npy", ".bin", ".emc"):
         path = _file(spark, "array", suffix)
-        arrays.write_array(path, _numbers(spark, d))
-        part = arrays.array_table(spark, arrays.read_array(path)).withColumn("suffix", F.lit(suffix))
+        arrays.write_column(path, numbers)
+        part = arrays.scan_array(spark, path).withColumn("suffix", F.lit(suffix))
         out = part if out is None else out.unionByName(part)
     return out.select("suffix", "i0", "value")
 

@@ -139,6 +139,27 @@ def test_arrays(spark, tmp_path):
     assert {(r.i0, r.i1): r.value for r in t}[(1, 2)] == 5
 
 
+def test_columns_do_not_pass_the_driver(spark, tmp_path):
+    """Written and scanned by tasks, over several blocks and in any order of rows; the files are those of NumPy."""
+    n = 3 * arrays.BLOCK + 17
+    x = np.random.default_rng(3).random(n)
+    rows = spark.range(n).selectExpr(f"(id * 7919) % {n} as pos").selectExpr("pos", "pos * 0.5D as value")
+    for name in ("x.npy", "x.bin", "x.emc"):
+        arrays.write_column(tmp_path / name, rows)
+        assert (arrays.read_array(tmp_path / name) == np.arange(n) * 0.5).all()
+        with pytest.raises(FileExistsError):
+            arrays.write_column(tmp_path / name, rows)
+    with pytest.raises(ValueError):
+        arrays.write_column(tmp_path / "x.csv", rows)
+    arrays.write_array(tmp_path / "y.bin", x)
+    t = arrays.scan_array(spark, tmp_path / "y.bin").orderBy("i0").toPandas()
+    assert (t.i0 == np.arange(n)).all() and (t.value == x).all()
+    t = arrays.array_table(spark, x)
+    assert "LocalTableScan" not in t._jdf.queryExecution().executedPlan().toString() and t.count() == n
+    assert arrays.array_table(spark, np.zeros((0, 3))).count() == 0
+    assert [r.value for r in arrays.array_table(spark, np.array(5.0)).collect()] == [5.0]
+
+
 def same(a, b):
     if isinstance(a, dict):
         return isinstance(b, dict) and a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
