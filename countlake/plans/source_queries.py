@@ -380,9 +380,7 @@ def image_extent(spark, d):
 @query(f"WITH {PIXELS} SELECT pixel_id, round(qx, 4) + 0 AS x, round(qy, 4) + 0 AS y, round(qz, 4) + 0 AS z FROM pix")
 def plane_and_back(spark, d):
     """The renderer's projections undo one another."""
-    r = dt.det_render(part_detector(spark, d))
-    x, y, z = r.to_sphere(F.col("cx"), F.col("cy"))
-    return _rounded(r.grid.select("pixel_id", x.alias("x"), y.alias("y"), z.alias("z")), "x", "y", "z", digits=4)
+    return _rounded(dt.det_render(part_detector(spark, d)).back(), "x", "y", "z", digits=4)
 
 
 @query(f"WITH {PIXELS}, n AS (SELECT count(*) AS n FROM pix) SELECT pixel_id, mask FROM pix UNION ALL SELECT CAST(n + pixel_id AS INTEGER), xor(mask, 1) FROM pix, n")
